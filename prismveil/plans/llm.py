@@ -1,0 +1,30 @@
+"""Queries of the training-data problems that use the ``llm`` operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from prismveil.llm import digest
+from prismveil.plans.storage import materialise, table
+
+SHARES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+# ---- 1: percentiles from mergeable partial results --------------------------------------
+
+
+def p1_partials(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest of latency_ms per provider, model and delivery; every delivered row counts."""
+    by = ("provider", "model", "delivery_no")
+    return digest.merge_digests(digest.partial_digests(table(spark, sf, "audit_chain_py"), by, "latency_ms"), by)
+
+
+def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of latency_ms per provider and model, merged from the stored partials."""
+    by = ("provider", "model")
+    stored = materialise(p1_partials(spark, sf), "p1-partials")
+    return digest.percentiles(digest.merge_digests(stored, by), by, SHARES)
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials)}
+ORACLES: dict[str, str] = {}
