@@ -1 +1 @@
-"""Relational operators: detection, tokenisation, audit chains, drift, shredding, increments."""
+"""Relational operators: drift of schemas, shredding of nested records, increments."""
