@@ -163,8 +163,9 @@ def entity_table(nodes: DataFrame, key: str, parent: str, fields: Sequence[str])
     )
 
 
-def grouped_metrics(nodes: DataFrame, key: str, label: str) -> DataFrame:
-    """``(key, child_table, child_key)`` of groups and their metrics in a JSON text.
+def _groups_and_metrics(nodes: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, g, group)`` and ``(key, g, group, metric, item)`` of a JSON text; ``g`` and
+    ``item`` are the nodes of the group and of the metric.
 
     Reads both shapes of either level: a list of objects that name themselves (``group``,
     ``metric``), or an object whose labels are the names.  A ``metrics`` object that names
@@ -188,18 +189,68 @@ def grouped_metrics(nodes: DataFrame, key: str, label: str) -> DataFrame:
         key, F.col("parent").alias("g"), F.col("node").alias("m"), "kind", F.col("own_name").alias("single")
     )
     items = tagged.filter(~F.col("is_name") & (F.col("label").isNull() | (F.col("label") != "metrics"))).select(
-        key, F.col("parent").alias("m"), F.coalesce("label", "own_name").alias("metric"), F.col("kind").alias("item_kind"), "ordinal"
+        key, F.col("parent").alias("m"), F.col("node").alias("item"), F.coalesce("label", "own_name").alias("metric"), F.col("kind").alias("item_kind"), "ordinal"
     )
     listed = boxes.join(items, [key, "m"]).filter(
         ((F.col("kind") == "object") & F.col("single").isNull()) | ((F.col("kind") == "list") & F.col("ordinal").isNotNull())
-    ).select(key, "g", "metric")
-    alone = boxes.filter((F.col("kind") == "object") & F.col("single").isNotNull()).select(key, "g", F.col("single").alias("metric"))
-    metrics = groups.join(listed.unionByName(alone).filter(F.col("metric").isNotNull()), [key, "g"])
+    ).select(key, "g", "metric", "item")
+    alone = boxes.filter((F.col("kind") == "object") & F.col("single").isNotNull()).select(key, "g", F.col("single").alias("metric"), F.col("m").alias("item"))
+    return groups, groups.join(listed.unionByName(alone).filter(F.col("metric").isNotNull()), [key, "g"])
+
+
+def grouped_metrics(nodes: DataFrame, key: str, label: str) -> DataFrame:
+    """``(key, child_table, child_key)`` of groups and their metrics in a JSON text."""
+    groups, metrics = _groups_and_metrics(nodes, key, label)
     return groups.select(key, F.lit("bias_groups").alias("child_table"), F.col("group").alias("child_key")).unionByName(
         metrics.select(key, F.lit("bias_metrics").alias("child_table"), F.concat_ws("/", "group", "metric").alias("child_key"))
     )
 
 
+def group_table(nodes: DataFrame, key: str, label: str) -> DataFrame:
+    """One row per group of a JSON text: key, ``node``, ``group`` and the texts ``n``,
+    ``ci_lo`` and ``ci_hi``, null where the group has none."""
+    groups, _ = _groups_and_metrics(nodes, key, label)
+    in_ci = F.col("parent").endswith(".ci") & F.col("label").isin("lo", "hi")
+    fields = (
+        nodes.filter((F.col("kind") == "scalar") & (in_ci | (F.col("label") == "n")))
+        .withColumn("g", F.when(in_ci, F.expr("substring(parent, 1, length(parent) - 3)")).otherwise(F.col("parent")))
+        .groupBy(key, "g")
+        .agg(*[F.max(F.when(F.col("label") == f, F.col("scalar"))).alias(name) for f, name in (("n", "n"), ("lo", "ci_lo"), ("hi", "ci_hi"))])
+    )
+    return groups.join(fields, [key, "g"], "left").select(key, F.col("g").alias("node"), "group", "n", "ci_lo", "ci_hi")
+
+
+def metric_table(nodes: DataFrame, key: str, label: str) -> DataFrame:
+    """One row per metric of a JSON text: key, ``node``, ``group``, ``metric`` and the text
+    ``value``, null where the metric has none."""
+    _, metrics = _groups_and_metrics(nodes, key, label)
+    scalars = nodes.filter(F.col("kind") == "scalar")
+    values = scalars.select(key, F.col("node").alias("item"), F.col("scalar").alias("value")).unionByName(
+        scalars.filter(F.col("label") == "value").select(key, F.col("parent").alias("item"), F.col("scalar").alias("value"))
+    )
+    return metrics.join(values, [key, "item"], "left").select(key, F.col("item").alias("node"), "group", "metric", "value")
+
+
+def value_table(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """The scalars directly below the list or map ``parent``: key, ``ordinal``, ``label``, ``scalar``."""
+    return nodes.filter((F.col("parent") == f"{ROOT}.{parent}") & (F.col("kind") == "scalar")).select(key, "ordinal", "label", "scalar")
+
+
+def record_table(nodes: DataFrame, key: str, name: str, fields: Sequence[str]) -> DataFrame:
+    """One row per object ``name``: key and the named scalar fields as text, null if absent."""
+    at = f"{ROOT}.{name}"
+    return (
+        nodes.filter((F.col("node") == at) & (F.col("kind") == "object") | (F.col("parent") == at) & (F.col("kind") == "scalar"))
+        .groupBy(key)
+        .agg(
+            F.count(F.when(F.col("node") == at, 1)).alias("_objects"),
+            *[F.max(F.when((F.col("parent") == at) & (F.col("label") == f), F.col("scalar"))).alias(f) for f in fields],
+        )
+        .filter("_objects > 0")
+        .drop("_objects")
+    )
+
+
 def child_records(nodes: Column, tables: Sequence[str]) -> Column:
     """From a node array: ``array<struct<child_table, child_key>>`` of the records directly
     below the containers ``tables``."""

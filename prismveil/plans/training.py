@@ -9,6 +9,16 @@ from prismveil.operators import incremental, schema_drift, shredding
 from prismveil.plans.storage import materialise, table
 
 LATEST = ("delivery_no", "received_at", "entry_hash")
+NESTED = ("entity_details", "categories", "timing", "bias_context")
+ENTITY_FIELDS = {
+    "category": "string", "start": "int", "end": "int", "length": "int", "confidence": "double",
+    "source": "string", "token": "string", "entity_hash": "string", "text_index": "int",
+}
+BIAS_FIELDS = {
+    "session_id": "string", "purpose": "string", "necessity_justification": "string", "max_lifetime_seconds": "bigint",
+    "entity_count": "bigint", "exit_reason": "string", "wipe_confirmed": "boolean", "entries_processed": "bigint",
+    "duration_seconds": "double", "finding_summary": "string", "bias_metrics": "string",
+}
 TYPED = ("entity_details", "categories", "timing", "bias_context.categories_allowed", "bias_context.categories_used")
 
 
@@ -39,6 +49,20 @@ def _both(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _latest(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return incremental.latest_rows(_both(spark, sf, *columns), "event_id", LATEST)
+
+
+def _json_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The adjacency table of the parsed bias_metrics, below ``$.bias_metrics``."""
+    parts = [
+        table(spark, sf, t).select("event_id", *LATEST, F.col("bias_context.bias_metrics").alias("bias_metrics"))
+        for t in ("audit_chain_py", "audit_chain_bias_py")
+    ]
+    last = incremental.latest_rows(parts[0].unionByName(parts[1]), "event_id", LATEST)
+    return shredding.json_node_table(last, "event_id", "bias_metrics", "bias_metrics")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Child records of the last delivered row of each entry, with their way back."""
     both = [table(spark, sf, t) for t in ("audit_chain_py", "audit_chain_bias_py")]
@@ -52,16 +76,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
         .select("event_id", F.explode("children").alias("c"))
         .select("event_id", "c.*")
     )
-    texts = [df.select("event_id", *LATEST, F.col("bias_context.bias_metrics").alias("bias_metrics")) for df in both]
-    last = incremental.latest_rows(texts[0].unionByName(texts[1]), "event_id", LATEST)
-    nodes = materialise(shredding.json_node_table(last, "event_id", "bias_metrics", "bias_metrics"), "p4-json-nodes")
+    nodes = materialise(_json_nodes(spark, sf), "p4-json-nodes")
     return typed.unionByName(shredding.grouped_metrics(nodes, "event_id", "bias_metrics")).distinct()
 
 
 def p4_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The adjacency table of the typed nested columns of the last delivered rows."""
-    last = incremental.latest_rows(_both(spark, sf, "entity_details", "categories", "timing", "bias_context"), "event_id", LATEST)
-    return shredding.node_table(last, "event_id", TYPED)
+    """The adjacency table of the nested columns of the last delivered rows, JSON text included.
+
+    The text of bias_metrics is the scalar ``$.bias_context.bias_metrics``; what it parses to
+    lies below ``$.bias_metrics``.
+    """
+    last = _latest(spark, sf, "entity_details", "categories", "timing", "bias_context")
+    return shredding.node_table(last, "event_id", NESTED).unionByName(_json_nodes(spark, sf))
 
 
 def p4_entity_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,6 +107,72 @@ def p4_entity_details(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p4_entity_details_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity table of entity_details with all its fields."""
+    nodes = shredding.node_table(_latest(spark, sf, "entity_details"), "event_id", ("entity_details",))
+    wide = shredding.entity_table(nodes, "event_id", "entity_details", tuple(ENTITY_FIELDS))
+    names = {"start": "span_start", "end": "span_end", "source": "detector"}
+    return wide.select(
+        "event_id",
+        F.col("ordinal").alias("position"),
+        *[F.col(f).cast(t).alias(names.get(f, f)) for f, t in ENTITY_FIELDS.items()],
+    )
+
+
+def _values(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    nodes = shredding.node_table(_latest(spark, sf, column.split(".")[0]), "event_id", (column,))
+    return shredding.value_table(nodes, "event_id", column.rsplit(".", 1)[-1])
+
+
+def p4_timing(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of timing with their values."""
+    return _values(spark, sf, "timing").select("event_id", F.col("label").alias("step"), F.col("scalar").cast("double").alias("value"))
+
+
+def p4_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of categories with their counts."""
+    return _values(spark, sf, "categories").select("event_id", F.col("label").alias("category"), F.col("scalar").cast("bigint").alias("n"))
+
+
+def p4_categories_used(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of bias_context.categories_used with their counts."""
+    rows = _values(spark, sf, "bias_context.categories_used")
+    return rows.select("event_id", F.col("label").alias("category"), F.col("scalar").cast("bigint").alias("n"))
+
+
+def p4_categories_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """The elements of bias_context.categories_allowed with their positions."""
+    rows = _values(spark, sf, "bias_context.categories_allowed")
+    return rows.select("event_id", F.col("ordinal").alias("position"), F.col("scalar").alias("category"))
+
+
+def p4_bias_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The scalar fields of bias_context, one row per context."""
+    nodes = shredding.node_table(_latest(spark, sf, "bias_context"), "event_id", ("bias_context",))
+    wide = shredding.record_table(nodes, "event_id", "bias_context", tuple(BIAS_FIELDS))
+    return wide.select("event_id", *[F.col(f).cast(t).alias(f) for f, t in BIAS_FIELDS.items()])
+
+
+def p4_bias_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The scalar fields on the first level of the parsed bias_metrics, as text."""
+    return shredding.value_table(_json_nodes(spark, sf), "event_id", "bias_metrics").select("event_id", F.col("label").alias("field"), F.col("scalar").alias("value"))
+
+
+def p4_bias_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups of bias_metrics with their size and interval."""
+    rows = shredding.group_table(materialise(_json_nodes(spark, sf), "p4-json-nodes"), "event_id", "bias_metrics")
+    return rows.select(
+        "event_id", "node", F.col("group").alias("group_name"), F.expr("try_cast(n as bigint)").alias("n"),
+        F.expr("try_cast(ci_lo as double)").alias("ci_lo"), F.expr("try_cast(ci_hi as double)").alias("ci_hi"),
+    )
+
+
+def p4_bias_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of the groups of bias_metrics with their values."""
+    rows = shredding.metric_table(materialise(_json_nodes(spark, sf), "p4-json-nodes"), "event_id", "bias_metrics")
+    return rows.select("event_id", "node", F.col("group").alias("group_name"), "metric", F.expr("try_cast(value as double)").alias("value"))
+
+
 # ---- 5: increments ---------------------------------------------------------------------
 
 
@@ -99,7 +191,7 @@ def p5_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return now.join(todo, "delivery_no", "left_semi").select("delivery_no", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_catalogue, p3_table, p4_found, p4_nodes, p4_entity_details, p5_found, p5_partitions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_catalogue, p3_table, p4_found, p4_nodes, p4_entity_details, p4_entity_details_all, p4_timing, p4_categories, p4_categories_used, p4_categories_allowed, p4_bias_context, p4_bias_totals, p4_bias_groups, p4_bias_metrics, p5_found, p5_partitions)}
 
 _LAST = """(SELECT * FROM (SELECT {cols}, row_number() OVER (PARTITION BY event_id
     ORDER BY delivery_no DESC, received_at DESC, entry_hash DESC) AS rn FROM (
@@ -113,6 +205,33 @@ ORACLES = {
         FROM (SELECT event_id, unnest(entity_details) AS d, unnest(range(1, len(entity_details) + 1)) AS i
               FROM {_LAST.format(cols="event_id, entity_details")})
         WHERE d IS NOT NULL""",
+    "p4_entity_details_all": f"""
+        SELECT event_id, CAST(i - 1 AS INTEGER) AS position, d.category AS category, d.start AS span_start,
+               d."end" AS span_end, d.length AS length, d.confidence AS confidence, d.source AS detector, d.token AS token,
+               d.entity_hash AS entity_hash, d.text_index AS text_index
+        FROM (SELECT event_id, unnest(entity_details) AS d, unnest(range(1, len(entity_details) + 1)) AS i
+              FROM {_LAST.format(cols="event_id, entity_details")})
+        WHERE d IS NOT NULL""",
+    "p4_timing": f"""
+        SELECT event_id, e.key AS step, e.value AS value
+        FROM (SELECT event_id, unnest(map_entries(timing)) AS e FROM {_LAST.format(cols="event_id, timing")})
+        WHERE e.value IS NOT NULL""",
+    "p4_categories": f"""
+        SELECT event_id, e.key AS category, e.value AS n
+        FROM (SELECT event_id, unnest(map_entries(categories)) AS e FROM {_LAST.format(cols="event_id, categories")})
+        WHERE e.value IS NOT NULL""",
+    "p4_categories_used": f"""
+        SELECT event_id, e.key AS category, e.value AS n
+        FROM (SELECT event_id, unnest(map_entries(bias_context.categories_used)) AS e FROM {_LAST.format(cols="event_id, bias_context")})
+        WHERE e.value IS NOT NULL""",
+    "p4_categories_allowed": f"""
+        SELECT event_id, CAST(i - 1 AS INTEGER) AS position, c AS category
+        FROM (SELECT event_id, unnest(bias_context.categories_allowed) AS c, unnest(range(1, len(bias_context.categories_allowed) + 1)) AS i
+              FROM {_LAST.format(cols="event_id, bias_context")})
+        WHERE c IS NOT NULL""",
+    "p4_bias_context": f"""
+        SELECT event_id, {", ".join(f"bias_context.{c} AS {c}" for c in BIAS_FIELDS)}
+        FROM {_LAST.format(cols="event_id, bias_context")} WHERE bias_context IS NOT NULL""",
     "p5_found": """
         WITH ok AS (SELECT DISTINCT delivery_no FROM ingest_runs WHERE status = 'succeeded'),
         held AS (SELECT DISTINCT event_id, entry_hash FROM audit_chain_py WHERE delivery_no IN (SELECT delivery_no FROM ok)),
