@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismveil.plans.storage import materialise
+
 #: Broadcasting a fingerprint table is allowed up to this many partitions (about 60 bytes each).
 MAX_BROADCAST_PARTITIONS = 200_000
 
@@ -138,6 +140,19 @@ def _has_table(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p))
 
 
+def _partition_paths(df: DataFrame, partition_by: Sequence[str]) -> set[str]:
+    """The folders, below a table's own, of the partitions in ``df``."""
+    name = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    rows = df.select(*[F.col(p).cast("string").alias(p) for p in partition_by]).distinct().collect()
+    return {"/".join(name(p, v) for p, v in zip(partition_by, r)) for r in rows}
+
+
+def _delete(spark: SparkSession, table: str, folders: set[str]) -> None:
+    for folder in sorted(folders):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{folder}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def process_increment(
     source: DataFrame,
     target: str,
@@ -146,15 +161,16 @@ def process_increment(
     columns: Sequence[str],
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> int:
-    """Bring the table at ``target`` up to date; returns the number of partitions redone.
+    """Bring the table at ``target`` up to date; returns the number of partitions redone or removed.
 
     ``transform`` maps the rows of changed partitions to result rows and must keep the
     partition columns.  ``state`` holds the recorded fingerprints of successful runs; a
     later record of a partition wins.  Order of writes: data first (dynamic partition
     overwrite replaces whole partitions), record second.  After a failure in between, the
     next run redoes the same partitions and replaces them, so nothing is lost or doubled.
-    A partition whose transform yields no rows keeps its previous rows only if it had none
-    before; give such partitions a marker row if that matters.
+    A partition whose transform yields no rows, or that vanished from the source, is deleted
+    from the target before its record is written; a vanished one is recorded with no rows, so
+    that it is redone should it come back.
     """
     spark = source.sparkSession
     now = fingerprints(source, partition_by, columns)
@@ -166,21 +182,29 @@ def process_increment(
     else:
         recorded, run = spark.createDataFrame([], now.schema), 1
     todo = changed_partitions(now, recorded, partition_by)
-    n = todo.count()
-    if not n:
+    known = recorded.filter("n_rows > 0")
+    gone = known.alias("a").join(now.alias("b"), [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in partition_by], "left_anti")
+    gone = materialise(gone.select(*partition_by), "increment-gone")
+    n, n_gone = todo.count(), gone.count()
+    if not n and not n_gone:
         return 0
     same = None
     for p in partition_by:
         cond = source[p].eqNullSafe(todo[p])
         same = cond if same is None else same & cond
     work = source.join(_small(todo), same, "left_semi")
+    result = materialise(transform(work), "increment-result")
     (
-        transform(work)
-        .write.mode("overwrite")
+        result.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(target)
     )
+    stale = _partition_paths(todo.unionByName(gone), partition_by)
+    unchanged = now.alias("a").join(todo.alias("b"), [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in partition_by], "left_anti")
+    # different values can share a folder (null and the empty string)
+    _delete(spark, target, stale - _partition_paths(result, partition_by) - _partition_paths(unchanged, partition_by))
     # the fingerprint of exactly what was read, not of rows that arrived since
-    fingerprints(work, partition_by, columns).withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(state)
-    return n
+    record = fingerprints(work, partition_by, columns).unionByName(gone.withColumns({c: F.lit(0).cast("long") for c in FINGERPRINT}))
+    record.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(state)
+    return n + n_gone
