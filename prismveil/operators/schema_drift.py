@@ -91,7 +91,9 @@ def _json_type(schema: Column) -> Column:
 
 def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """``lines`` with ``_fields``: the top-level fields as a map of variants, null if the
-    line is no JSON object."""
+    line is no JSON object.  Of a repeated key the last value counts, as in most parsers; the
+    session is set to read such objects, since the setting may be read as late as planning."""
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return lines.withColumn("_fields", F.expr(f"try_variant_get(try_parse_json(`{raw}`), '$', 'map<string,variant>')"))
 
 
@@ -215,18 +217,21 @@ def consistent_table(lines: DataFrame, aliases: dict[str, tuple[str, tuple[str,
 
     Casts are generated from the alias table: a column is the first non-null spelling, cast
     to its one type; what cannot be cast is null.  Fields in no alias entry stay together,
-    as JSON text, in ``unknown_fields``.  Key columns of ``lines`` are kept (they win over
+    under their own names and as JSON text, in ``unknown_fields``.  Key columns of ``lines`` are kept (they win over
     fields of the same name, which then are prefixed with ``entry_``).
     """
     known = spellings(aliases)
     rows = parsed(lines, raw).filter(F.col("_fields").isNotNull())
-    # two spellings of one field on a line: the canonical order of the alias table decides
-    rows = rows.withColumn("_by", F.map_from_entries(F.expr("transform(array_distinct(transform(map_keys(_fields), k -> regexp_replace(lower(k), '[^a-z0-9]', ''))), f -> struct(f, element_at(filter(map_entries(_fields), e -> regexp_replace(lower(e.key), '[^a-z0-9]', '') = f), 1).value))")))
+    # two spellings that fold to one name on a line: the first that is not null decides
+    rows = rows.withColumn("_set", F.expr("filter(map_entries(_fields), e -> NOT is_variant_null(e.value))"))
+    fold = "regexp_replace(lower({}), '[^a-z0-9]', '')"
+    names_set = f"array_distinct(transform(_set, e -> {fold.format('e.key')}))"
+    rows = rows.withColumn("_by", F.map_from_entries(F.expr(f"transform({names_set}, f -> struct(f, get(filter(_set, e -> {fold.format('e.key')} = f), 0).value))")))
     out: list[Column] = [F.col(c) for c in lines.columns if c != raw]
     for canon, (target, others) in aliases.items():
         names = list(dict.fromkeys(folded(s) for s in (canon, *others)))
         value = F.coalesce(*[_cast(F.try_element_at("_by", F.lit(n)), target) for n in names])
         out.append(value.alias(f"entry_{canon}" if canon in lines.columns else canon))
-    rest = F.map_filter("_by", lambda k, _: ~k.isin(*known))
+    rest = F.map_filter("_fields", lambda k, _: ~F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(*known))
     out.append(F.when(F.size(rest) > 0, F.to_json(rest)).alias("unknown_fields"))
     return rows.select(*out)
