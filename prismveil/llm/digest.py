@@ -4,7 +4,8 @@ A digest is a sorted list of centroids (mean, weight) with the extremes.  Betwee
 centroid borders the scale ``k(q) = SIZE / (2 pi) * asin(2 q - 1)`` grows by at most 1, so a
 centroid near the median holds at most ``pi / SIZE`` of the values and one near an end far
 fewer.  Digests merge by merging their sorted centroids under the same bound.  Tasks digest
-their own rows first; what is shuffled follows the number of groups, not of rows.
+their own rows first; what is shuffled follows the number of groups, not of rows.  A second
+pass counts the values below and up to each returned percentile and so certifies its error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import types as T
 SIZE = 500
 #: Stated error: the rank of a returned percentile is off by at most this share of the values.
 RANK_ERROR = 0.01
+#: Ways in which the digests of one group are merged before its last merge.
+SALTS = 32
+#: Groups whose percentiles may be broadcast to the counting pass (about 100 bytes each).
+MAX_BROADCAST_GROUPS = 100_000
 #: Values a task keeps unmerged for a group.
 BUFFER = 4 * SIZE
 
@@ -136,16 +141,21 @@ def partial_digests(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def merge_digests(digests: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One digest per group of ``by`` from any number of digests."""
+    """One digest per group of ``by`` from any number of digests.
+
+    A hot group may come with a digest of every task, so groups are merged in ``SALTS`` parts
+    first and the parts, at most ``SALTS`` small rows a group, second.
+    """
     schema = T.StructType([*_keys(digests, by), *DIGEST.fields])
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         p = _Partial()
         p.add_digests(frame)
-        key = tuple(None if pd.isna(k) else k for k in key)
+        key = tuple(None if pd.isna(k) else k for k in key[: len(by)])
         return pd.DataFrame([(*key, *p.row())], columns=schema.names, dtype=object)
 
-    return digests.groupBy(*by).applyInPandas(one, schema)
+    salted = digests.withColumn("_salt", F.pmod(F.xxhash64("n_values", "lo", "hi", "means"), F.lit(SALTS)))
+    return salted.groupBy(*by, "_salt").applyInPandas(one, schema).groupBy(*by).applyInPandas(one, schema)
 
 
 def percentiles(digests: DataFrame, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
@@ -163,3 +173,35 @@ def percentiles(digests: DataFrame, by: Sequence[str], shares: dict[str, float])
 
     fields = [*_keys(digests, by), *DIGEST.fields[:4], *[T.StructField(n, T.DoubleType()) for n in shares]]
     return digests.mapInPandas(read, T.StructType(fields))
+
+
+def certify(rows: DataFrame, found: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``found`` with ``rank_error``: the largest share of values, over its percentiles, by which
+    the rank of the returned value misses the asked rank, counted over all ``rows``.
+
+    ``found`` is a stored result of ``percentiles``, one row per group.  A tie covers the ranks
+    of all its values.  The counts combine map-side, so a hot group costs one row per task.  A
+    group without values has error 0.
+    """
+    v = F.col(value).cast("double")
+    good = rows.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
+    small = found.count() <= MAX_BROADCAST_GROUPS
+    asked = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[F.col(n).alias(f"_p{i}") for i, n in enumerate(shares)])
+    same = None
+    for i, c in enumerate(by):
+        cond = good[c].eqNullSafe(asked[f"_k{i}"])
+        same = cond if same is None else same & cond
+    met = good.join(F.broadcast(asked) if small else asked, same)
+    counts = met.groupBy(*[f"_k{i}" for i in range(len(by))]).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count(F.when(F.col("_v") < F.col(f"_p{i}"), 1)).alias(f"_b{i}") for i in range(len(shares))],
+        *[F.count(F.when(F.col("_v") <= F.col(f"_p{i}"), 1)).alias(f"_u{i}") for i in range(len(shares))],
+    )
+    misses = [F.greatest(F.col(f"_b{i}") - q * F.col("_n"), q * F.col("_n") - F.col(f"_u{i}"), F.lit(0.0)) / F.col("_n") for i, q in enumerate(shares.values())]
+    errors = counts.select(*[f"_k{i}" for i in range(len(by))], F.greatest(*misses, F.lit(0.0)).alias("rank_error"))
+    same = None
+    for i, c in enumerate(by):
+        cond = found[c].eqNullSafe(errors[f"_k{i}"])
+        same = cond if same is None else same & cond
+    joined = found.join(errors, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
+    return joined.withColumn("rank_error", F.coalesce("rank_error", F.lit(0.0)))
