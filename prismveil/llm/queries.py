@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismveil.llm import digest, encoding, packing
+from prismveil.llm import digest, encoding, junk, packing
 from prismveil.plans.storage import materialise, table
 
 SHARES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -80,7 +80,34 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_extremes, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+# ---- 8: template residue and error pages --------------------------------------------------
+
+
+def _junk(spark: SparkSession, sf: str) -> DataFrame:
+    stored = materialise(junk.mined(table(spark, sf, "documents"), "doc_id", "text"), "p8-lines")
+    merged = junk.merged_templates(stored.filter(F.col("_t").isNotNull()).select("_text", "_n"))
+    return junk.junk_documents(stored, materialise(junk.template_verdicts(merged), "p8-verdicts"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with a placeholder, filler, an error page or a notice in place of content."""
+    return _junk(spark, sf).select(F.col("_key").alias("doc_id"))
+
+
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without those of p8_found; null, empty and blank texts are kept."""
+    return table(spark, sf, "documents").join(p8_found(spark, sf), "doc_id", "left_anti")
+
+
+def p8_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged line templates with their numbers of lines and their verdicts."""
+    stored = materialise(junk.mined(table(spark, sf, "documents"), "doc_id", "text"), "p8-lines")
+    merged = junk.merged_templates(stored.filter(F.col("_t").isNotNull()).select("_text", "_n"))
+    verdicts = junk.template_verdicts(merged)
+    return verdicts.groupBy(F.col("_now").alias("template"), "verdict").agg(F.sum("_n").alias("n_lines"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_extremes, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_kept, p8_templates)}
 
 ORACLES: dict[str, str] = {
     "p1_extremes": """
