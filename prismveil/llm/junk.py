@@ -58,11 +58,22 @@ def _fold(line: str) -> str:
 
 
 _FOLDED = {_fold(h) for h in HEADINGS}
+_LETTERS = [(h, set(h)) for h in sorted(_FOLDED) if len(h) >= 5]
 _LONGEST = max(map(len, _FOLDED))
 _INLINE = re.compile(r"(?:(?<=\s)|^)(" + "|".join(sorted(map(re.escape, HEADINGS), key=len, reverse=True)) + r")(?=\s|$|【|\[)")
 _MARK = re.compile(r"\s*(?:\[\d{1,5}\]|【\d{1,5}】|【請求項\d+】|(?:Claim|Anspruch|Revendication|Reivindicación) \d{1,3}\s*:|\d{1,3}\s*[.):、](?=\s|\D))\s*")
 _INLINE_MARK = re.compile(r"(?<=\s)(?=\[\d{4}\]\s|【\d{4}】|【請求項\d+】|Claim \d{1,3}: )")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[A-ZÄÖÜÉÁÍÓÚ¿¡0-9\[<{%@$_«(])|(?<=[。！？]) *")
+_STOP = re.compile(r"[.!?…。！？](?:\s+(?=[A-ZÄÖÜÉÁÍÓÚ¿¡0-9\[<{%@$_«(])|(?<=[。！？]) *)")
+
+
+def sentences(line: str) -> list[str]:
+    out, at = [], 0
+    for m in _STOP.finditer(line):
+        out.append(line[at : m.start() + 1])
+        at = m.end()
+    if at < len(line):
+        out.append(line[at:])
+    return out
 
 
 def _near(a: str, b: str) -> bool:
@@ -91,7 +102,8 @@ def _is_heading(line: str) -> bool:
         return True
     if not 5 <= len(f) <= _LONGEST + 2 or len(line) > len(f) + 12:
         return False
-    return any(len(h) >= 5 and _near(f, h) for h in _FOLDED)
+    chars = set(f)  # two errors change at most four members of the set
+    return any(len(chars ^ c) <= 4 and _near(f, h) for h, c in _LETTERS)
 
 
 def _unflattened(text: str) -> str:
@@ -134,7 +146,7 @@ def fields(text: str) -> list[list[str]]:
         elif m and m.end() == len(line) and line[-1] in "]】":
             out.append([])
             continue
-        out[-1].extend(filter(None, _SENTENCE.split(line)))
+        out[-1].extend(sentences(line))
     if not any_heading and len(out) == 1 and len(out[0]) > 1 and len(out[0][0]) <= 60:
         out.append(out[0][1:])  # a title and the rest
         out[0] = out[0][:1]
@@ -183,7 +195,7 @@ def train() -> np.ndarray:
     rows, y = [], []
     for label, block in ((JUNK, junk_labels.JUNK), (CHROME, junk_labels.CHROME), (CONTENT, junk_labels.CONTENT)):
         for line in junk_labels.lines(block):
-            for sentence in filter(None, {line, *_SENTENCE.split(line)}):
+            for sentence in sorted({line, *sentences(line)}):
                 for variant in sorted({sentence, sentence.upper()}) if label == JUNK else [sentence]:
                     rows.append(features(templates.mask(variant)))
                     y.append(label)
@@ -242,16 +254,20 @@ def mined(df: DataFrame, key: str, text: str) -> DataFrame:
         tree, base, key_type = templates.Tree(), TaskContext.get().partitionId() << 32, None
         for part in slices(batches):
             key_type = part.schema.field(0).type
-            slot, every = [], []
+            slot, ends, number, size, place = [], [0], [], [], []
             for t in part.column(1).to_pylist():
-                found, lines = False, []
-                for i, field in enumerate(fields(t)):
+                found, cut = False, fields(t)
+                for i, field in enumerate(cut):
                     found = found or has_slot(field)
-                    lines.extend({"f": i, "n": len(field), "t": base + tree.add(x)} for x in field)
+                    number.extend([i] * len(field))
+                    size.extend([len(field)] * len(field))
+                    place.extend(map(tree.add, field))
                 slot.append(found)
-                every.append(lines)
+                ends.append(len(place))
             n = len(slot)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(slot), pa.array(every, lines_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=schema.names)
+            structs = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(place, dtype=np.int64) + base)], fields=list(lines_type.value_type))
+            every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(slot), every, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=schema.names)
         if key_type is not None and tree.templates:
             n = len(tree.templates)
             yield pa.RecordBatch.from_arrays(

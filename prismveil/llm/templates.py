@@ -10,9 +10,12 @@ on the corpus.  Trees of separate tasks merge by running their templates through
 from __future__ import annotations
 
 import re
+from operator import eq
 
 #: Tokens after the count by which the tree branches, and the share of equal tokens to join.
 DEPTH, SIMILAR = 2, 0.5
+#: Share of equal tokens at which no better template is looked for.
+ENOUGH = 0.7
 #: Stands for a position at which the lines of a template differ.
 WILD = "<*>"
 
@@ -29,6 +32,7 @@ SLOT = re.compile(
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{5,}(?![A-Za-z0-9])")
 _SIGN = re.compile(r" ?\(\d{1,4}[a-zA-Z]?\)")
 _DIGIT = re.compile(r"\d")
+_MIXED = re.compile(r"[a-f]\d|\d[a-f]")
 _NUM = re.compile(r"\d+(?:[.,]\d+)*")
 _TOKEN = re.compile(r"<(?:slot|id|num|\*)>|[぀-ゟ]+|[゠-ヿ]+|[㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+|[^\w\s]|_")
 
@@ -40,7 +44,9 @@ def mask(line: str) -> str:
         return line
     if "(" in line and len(line) > 12:
         line = _SIGN.sub("", line)
-    return _NUM.sub("<num>", _HEX.sub("<id>", line))
+    if _MIXED.search(line):
+        line = _HEX.sub("<id>", line)
+    return _NUM.sub("<num>", line)
 
 
 def tokens(masked: str) -> list[str]:
@@ -77,19 +83,22 @@ class Tree:
 
     def _place(self, words: list[str]) -> int:
         leaf = self.leaves.setdefault((len(words), *words[:DEPTH]), [])
-        need, best, chosen = SIMILAR * len(words), -1, -1
-        for t in leaf:
-            same = sum(map(str.__eq__, self.templates[t], words))
+        size = len(words)
+        need, enough, best, chosen = SIMILAR * size, ENOUGH * size, -1, -1
+        for i, t in enumerate(leaf):
+            same = sum(map(eq, self.templates[t], words))
             if same > best:
                 best, chosen = same, t
-                if same == len(words):
+                if same >= enough:
+                    if i:  # what was just met comes first next time
+                        leaf.insert(0, leaf.pop(i))
                     break
         if chosen < 0 or best < need:
             leaf.append(len(self.templates))
             self.templates.append(words)
             self.counts.append(0)
             return leaf[-1]
-        if best < len(words):
+        if best < size:
             self.templates[chosen] = [a if a == b else WILD for a, b in zip(self.templates[chosen], words)]
         return chosen
 
