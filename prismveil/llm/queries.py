@@ -6,7 +6,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismveil.llm import digest, encoding, junk, packing
+from prismveil.llm import digest, encoding, junk, packing, pii
 from prismveil.plans.storage import materialise, table
 
 SHARES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -45,6 +45,20 @@ def p1_extremes(spark: SparkSession, sf: str) -> DataFrame:
     return digest.merge_digests(digest.partial_digests(table(spark, sf, "audit_chain_py"), by, "latency_ms"), by).select(*by, "n_values", "n_skipped", "lo", "hi")
 
 
+# ---- 2: personal data in messages ---------------------------------------------------------
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mention of personal data in messages, a re-sent message counting once."""
+    spans = pii.with_spans(table(spark, sf, "messages"), "content", pii.model(spark), ["conv_id", "turn"])
+    return spans.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.start_pos", "s.category").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages with typed placeholders in place of personal data."""
+    return pii.redact(table(spark, sf, "messages"), "content", pii.model(spark))
+
+
 # ---- 6: ids of a public tokenizer -------------------------------------------------------
 
 
@@ -107,7 +121,7 @@ def p8_templates(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.groupBy(F.col("_now").alias("template"), "verdict").agg(F.sum("_n").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_extremes, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_kept, p8_templates)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_partials, p1_extremes, p2_found, p2_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_kept, p8_templates)}
 
 ORACLES: dict[str, str] = {
     "p1_extremes": """
