@@ -174,20 +174,30 @@ def has_slot(field: list[str]) -> bool:
 # ---- classifier ------------------------------------------------------------------------
 
 
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
+
+
+@lru_cache(maxsize=100_000)
+def _of_word(w: str) -> tuple[int, ...]:
+    if w[0] == "<":
+        return (_bucket(f"w{w}"),)
+    edged = f"^{w}$"
+    return (_bucket(f"w{w}"), *{_bucket(edged[i : i + n]) for n in (3, 4, 5) for i in range(len(edged) - n + 1)})
+
+
 def features(line: str) -> np.ndarray:
     """Buckets of the words, word pairs and character 3- to 5-grams of a line, repeats once."""
     words = [w.casefold() for w in templates.tokens(line)]
-    grams = {f"w{w}" for w in words} | {f"p{a} {b}" for a, b in zip(["^", *words], [*words, "$"])}
+    grams = {_bucket(f"p{a} {b}") for a, b in zip(["^", *words], [*words, "$"])}
     for w in words:
-        if w[0] != "<":
-            w = f"^{w}$"
-            grams |= {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    upper = sum(c.isupper() for c in line)
-    if upper > 0.6 * sum(c.isalpha() for c in line) > 0:
-        grams.add("!upper")
+        grams.update(_of_word(w))
+    upper = sum(map(str.isupper, line))
+    if upper > 0.6 * sum(map(str.isalpha, line)) > 0:
+        grams.add(_bucket("!upper"))
     if len(words) >= 4 and len(set(words)) <= 0.4 * len(words):
-        grams |= {"!repeats", "!repeats2"}
-    return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), dtype=np.int64)
+        grams |= {_bucket("!repeats"), _bucket("!repeats2")}
+    return np.fromiter(grams, dtype=np.int64)
 
 
 def train() -> np.ndarray:

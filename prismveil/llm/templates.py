@@ -61,17 +61,24 @@ class Tree:
         self.templates: list[list[str]] = []
         self.counts: list[int] = []
         self.known: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
         self.max_kept = max_kept
 
     def add(self, line: str, n: int = 1) -> int:
         """Number of the template of ``line``; lines that are equal once masked share one."""
-        masked = mask(line)
-        at = self.known.get(masked)
+        at = self.seen.get(line)
         if at is None:
-            at = self._place(tokens(masked))
-            if len(self.known) >= self.max_kept:
-                self.known.clear()
-            self.known[masked] = at
+            masked = mask(line)
+            at = self.known.get(masked)
+            if at is None:
+                at = self._place(tokens(masked))
+                if len(self.known) >= self.max_kept:
+                    self.known.clear()
+                self.known[masked] = at
+            if len(line) < 120:
+                if len(self.seen) >= self.max_kept:
+                    self.seen.clear()
+                self.seen[line] = at
         self.counts[at] += n
         return at
 
