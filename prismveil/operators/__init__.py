@@ -1 +1,2 @@
-"""Relational operators: drift of schemas, shredding of nested records, increments."""
+"""Relational operators: detection, tokenisation, context risk, audit chains and their rollups,
+attestation, evaluation, drift of schemas, shredding of nested records, increments."""
