@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +35,16 @@ def row_hash(columns: Sequence[str]) -> Column:
 def fingerprints(df: DataFrame, partition_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per partition: its columns, ``n_rows``, ``hash_lo`` and ``hash_hi``.
 
-    The halves of the row hash are summed as longs, which cannot overflow below 2**31 rows
-    per partition.  Null partition values form a partition; an empty table has none.
+    The halves of the row hash are summed as decimals of 38 digits, which no number of rows
+    overflows.  Null partition values form a partition; an empty table has none.
     """
     h = row_hash(columns)
-    low = h.bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(h, 32)
+    low = h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(20,0)")
+    high = F.shiftrightunsigned(h, 32).cast("decimal(20,0)")
     return (
         df.select(*partition_by, low.alias("_lo"), high.alias("_hi"))
         .groupBy(*partition_by)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_lo").alias("hash_lo"), F.sum("_hi").alias("hash_hi"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_lo").cast("decimal(38,0)").alias("hash_lo"), F.sum("_hi").cast("decimal(38,0)").alias("hash_hi"))
     )
 
 
@@ -68,59 +69,68 @@ def changed_partitions(current: DataFrame, recorded: DataFrame, partition_by: Se
     return a.join(b, same, "left_anti").select(*[F.col(f"a.{p}").alias(p) for p in partition_by])
 
 
+def latest_records(spark: SparkSession, state: str, partition_by: Sequence[str], like: DataFrame) -> tuple[DataFrame, int]:
+    """The last recorded fingerprint of each partition and the number of the last run; ``like`` has
+    the schema of fingerprints and stands in where nothing was recorded."""
+    try:
+        log = spark.read.parquet(state)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], like.schema), 0
+    w = Window.partitionBy(*partition_by).orderBy(F.col("run").desc())
+    last = log.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return last, log.agg(F.max("run")).first()[0] or 0
+
+
 def pending_entries(
     rows: DataFrame,
-    runs: DataFrame,
+    target: str,
+    state: str,
     entry: str = "event_id",
     version: str = "entry_hash",
     partition: str = "delivery_no",
     tie_break: Sequence[str] = ("received_at",),
 ) -> DataFrame:
-    """Entries whose current form no successful run has processed.
+    """Entries whose current form no run has processed: ``event_id, entry_hash, change_kind``.
 
-    ``rows`` has one row per delivery of an entry, ``runs`` one row per attempt
-    (``delivery_no``, ``status``).  Result: ``event_id, entry_hash, change_kind``, one row
-    per case; the current form is the row with the greatest ``delivery_no`` (ties: the
-    greatest ``tie_break`` columns, then the greatest hash).
+    ``rows`` has one row per delivery of an entry.  ``target`` and ``state`` are what
+    ``process_increment`` left: the forms processed so far and the fingerprints recorded with
+    them.  The current form is the row with the greatest ``delivery_no`` (ties: the greatest
+    ``tie_break`` columns, then the greatest hash).
 
-    The succeeded attempts give the recorded fingerprints; the partitions whose fingerprint
-    is unrecorded are the only ones that can hold a case, since an entry whose current row
-    lies in a recorded partition is processed by definition.  Their entries are looked up in
-    all partitions to tell new from changed.  Forms are combined map-side before the
-    shuffle, so a hot entry costs one row per form and task.
+    Only partitions whose fingerprint is not the recorded one are read for cases: a row that
+    changed inside a recorded partition changes its fingerprint and shows.  Their entries meet
+    the processed forms in one grouping, which tells current from outdated and new from changed.
+    Forms combine map-side before the shuffle, so a hot entry costs one row per form and task.
 
     Defined results: rows with a null entry id are no entries; a null hash is a form of its
-    own; repeated rows count once; null or unknown status is no success; with no runs every
-    entry is ``new``; an empty table gives no rows.
+    own; repeated rows count once; with nothing processed every entry is ``new``; an empty table
+    gives no rows.
     """
-    slim = rows.select(
-        F.col(partition).alias("_p"),
-        F.col(entry).alias("_e"),
-        F.col(version).alias("_v"),
-        F.struct(F.col(partition), *[F.col(c) for c in tie_break]).alias("_at"),
-    )
-    now = fingerprints(slim, ["_p"], ["_e", "_v"])
-    done = runs.filter(F.col("status") == "succeeded").select(F.col(partition).alias("_p")).distinct()
-    recorded = now.join(_small(done), "_p", "left_semi")
-    todo = changed_partitions(now, recorded, ["_p"]).withColumn("_todo", F.lit(True))
-    marked = (
-        slim.filter(F.col("_e").isNotNull())
-        .join(_small(todo), slim["_p"].eqNullSafe(todo["_p"]), "left")
-        .select("_e", "_v", "_at", F.col("_todo").isNotNull().alias("_todo"))
-    )
-    forms = marked.groupBy("_e", "_v").agg(F.max("_at").alias("_at"), F.min("_todo").alias("_open"), F.max("_todo").alias("_todo"))
+    spark = rows.sparkSession
+    columns = [entry, version, partition, *tie_break]
+    now = fingerprints(rows, [partition], [entry, version])
+    recorded, _ = latest_records(spark, state, [partition], now)
+    todo = changed_partitions(now, recorded, [partition]).withColumnRenamed(partition, "_todo")
+    fresh = rows.select(*columns).join(_small(todo), F.col(partition).eqNullSafe(F.col("_todo")), "left_semi")
+    try:
+        held = spark.read.schema(rows.select(*columns).schema).parquet(target)
+    except AnalysisException:
+        held = rows.select(*columns).limit(0)
+    at = F.struct(F.col(partition), *[F.col(c) for c in tie_break])
+    slim = lambda df, is_open: df.select(F.col(entry).alias("_e"), F.col(version).alias("_v"), at.alias("_at"), F.lit(is_open).alias("_open"))
+    both = slim(fresh, True).unionByName(slim(held, False)).filter(F.col("_e").isNotNull())
+    forms = both.groupBy("_e", "_v").agg(F.max("_at").alias("_at"), F.min("_open").alias("_open"), F.max("_open").alias("_seen"))
     entries = forms.groupBy("_e").agg(
         F.max(F.struct("_at", "_v", "_open")).alias("_last"),
         F.min("_open").alias("_fresh"),
-        F.max("_todo").alias("_todo"),
+        F.max("_seen").alias("_seen"),
     )
-    return (
-        entries.filter(F.col("_todo") & F.col("_last._open"))
-        .select(
-            F.col("_e").alias(entry),
-            F.col("_last._v").alias(version),
-            F.when(F.col("_fresh"), F.lit("new")).otherwise(F.lit("changed")).alias("change_kind"),
-        )
+    return entries.filter(F.col("_seen") & F.col("_last._open")).select(
+        F.col("_e").alias(entry),
+        F.col("_last._v").alias(version),
+        F.when(F.col("_fresh"), F.lit("new")).otherwise(F.lit("changed")).alias("change_kind"),
     )
 
 
@@ -133,13 +143,6 @@ def latest_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def _has_table(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p))
-
-
 def _partition_paths(df: DataFrame, partition_by: Sequence[str]) -> set[str]:
     """The folders, below a table's own, of the partitions in ``df``."""
     name = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
@@ -173,18 +176,12 @@ def process_increment(
     that it is redone should it come back.
     """
     spark = source.sparkSession
-    now = fingerprints(source, partition_by, columns)
-    if _has_table(spark, state):
-        log = spark.read.parquet(state)
-        w = Window.partitionBy(*partition_by).orderBy(F.col("run").desc())
-        recorded = log.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        run = (log.agg(F.max("run")).first()[0] or 0) + 1
-    else:
-        recorded, run = spark.createDataFrame([], now.schema), 1
+    now = materialise(fingerprints(source, partition_by, columns), "increment-now")
+    recorded, run = latest_records(spark, state, partition_by, now)
     todo = changed_partitions(now, recorded, partition_by)
     known = recorded.filter("n_rows > 0")
     gone = known.alias("a").join(now.alias("b"), [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in partition_by], "left_anti")
-    gone = materialise(gone.select(*partition_by), "increment-gone")
+    todo, gone = materialise(todo, "increment-todo"), materialise(gone.select(*partition_by), "increment-gone")
     n, n_gone = todo.count(), gone.count()
     if not n and not n_gone:
         return 0
@@ -192,7 +189,9 @@ def process_increment(
     for p in partition_by:
         cond = source[p].eqNullSafe(todo[p])
         same = cond if same is None else same & cond
-    work = source.join(_small(todo), same, "left_semi")
+    # one snapshot of the changed partitions: what is processed is what is recorded, whatever
+    # arrives meanwhile
+    work = materialise(source.join(_small(todo), same, "left_semi"), "increment-work")
     result = materialise(transform(work), "increment-result")
     (
         result.write.mode("overwrite")
@@ -204,7 +203,6 @@ def process_increment(
     unchanged = now.alias("a").join(todo.alias("b"), [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in partition_by], "left_anti")
     # different values can share a folder (null and the empty string)
     _delete(spark, target, stale - _partition_paths(result, partition_by) - _partition_paths(unchanged, partition_by))
-    # the fingerprint of exactly what was read, not of rows that arrived since
-    record = fingerprints(work, partition_by, columns).unionByName(gone.withColumns({c: F.lit(0).cast("long") for c in FINGERPRINT}))
-    record.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(state)
+    record = fingerprints(work, partition_by, columns).unionByName(gone.withColumns({c: F.lit(0).cast(now.schema[c].dataType) for c in FINGERPRINT}))
+    record.withColumn("run", F.lit(run + 1)).write.mode("append").parquet(state)
     return n + n_gone

@@ -3,10 +3,11 @@
 1. Every file is reduced to *footer metadata*: which top-level fields it has, in which JSON
    types, on how many lines.  Counts combine map-side; after this step sizes follow the
    number of files and fields, not the number of lines.
-2. ``lag``/``lead`` over the file number of each producer and field find the islands of
-   consecutive files in which the field lives; island starts and ends are the log.
-3. Starts and ends that meet in one file under one canonical name (the alias table) are a
-   renaming.
+2. ``lag`` carries the last known type over files in which a field has only nulls; then the
+   islands of consecutive files in which a producer's field has one type are its *lifespans*
+   (first and last file).  Their starts and endings are the log.
+3. Starts and endings that meet in one file under one canonical name (the alias table, an
+   argument) are a renaming; those that meet unpaired are listed as candidates with evidence.
 4. The same alias table generates the casts of the one consistent table.
 """
 
@@ -17,7 +18,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Canonical field -> (type in the consistent table, other spellings met so far).
+from prismveil.plans.storage import materialise
+
+# Fixed values, the default alias table (its source: the spellings met in test lines and the
+# names of the audit schema; give another to every operator here): canonical field -> (type in the consistent table, other spellings met so far).
 # Spellings that differ only in case and underscores are recognised without being listed.
 ALIASES: dict[str, tuple[str, tuple[str, ...]]] = {
     "seq": ("bigint", ()),
@@ -120,31 +124,65 @@ def footers(lines: DataFrame, chain: str = "chain_id", file: str = "file_name",
     )
 
 
-def lifespans(catalogue: DataFrame) -> DataFrame:
-    """The catalogue with file numbers, neighbours and canonical names."""
-    by_chain = Window.partitionBy("chain")
+Aliases = dict[str, tuple[str, tuple[str, ...]]]
+
+
+def lives(catalogue: DataFrame, aliases: Aliases = ALIASES) -> DataFrame:
+    """The catalogue with file numbers, canonical names and types carried over files with nulls.
+
+    Files are numbered from the distinct pairs of producer and file, so the window of a hot
+    producer holds one slim row per file.  ``type`` is the file's own, else the one that the
+    field, else that its canonical name had last; ``was`` is the type before, ``canon_name`` and
+    ``canon_ord`` the name and file of the canonical field before.
+    """
+    by_chain = Window.partitionBy("chain").orderBy("file")
+    files = catalogue.select("chain", "file").distinct()
+    files = files.select(F.col("chain").alias("_c"), F.col("file").alias("_f"), F.row_number().over(by_chain).alias("ord"), F.lead("file").over(by_chain).alias("next_file"))
     numbered = (
-        catalogue.withColumn("ord", F.dense_rank().over(by_chain.orderBy("file")))
-        .withColumn("next_file", F.first("file").over(by_chain.orderBy("ord").rangeBetween(1, 1)))
-        .withColumn("last_ord", F.max("ord").over(by_chain))
-        .filter(F.col("field").isNotNull())
-        .withColumn("canon", canonical(F.col("field")))
+        catalogue.filter(F.col("field").isNotNull())
+        .join(files, F.col("chain").eqNullSafe(F.col("_c")) & F.col("file").eqNullSafe(F.col("_f")))
+        .drop("_c", "_f")
+        .withColumn("canon", canonical(F.col("field"), aliases))
     )
-    own = Window.partitionBy("chain", "field").orderBy("ord")
-    any_name = Window.partitionBy("chain", "canon").orderBy("ord", "field")
-    before = any_name.rowsBetween(Window.unboundedPreceding, -1)
-    own_before = own.rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("chain", "field").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    named = Window.partitionBy("chain", "canon").orderBy("ord", "field")
     return (
-        numbered.withColumn("prev_ord", F.lag("ord").over(own))
-        .withColumn("next_ord", F.lead("ord").over(own))
-        .withColumn("own_type", F.last("json_type", ignorenulls=True).over(own_before))
-        .withColumn("canon_type", F.last("json_type", ignorenulls=True).over(before))
-        .withColumn("canon_ord", F.lag("ord").over(any_name))
-        .withColumn("canon_name", F.lag("field").over(any_name))
+        numbered.withColumn("own_type", F.last("json_type", ignorenulls=True).over(own))
+        .withColumn("canon_type", F.last("json_type", ignorenulls=True).over(named.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("canon_ord", F.lag("ord").over(named))
+        .withColumn("canon_name", F.lag("field").over(named))
+        .withColumn("prev_ord", F.lag("ord").over(Window.partitionBy("chain", "field").orderBy("ord")))
+        .withColumn("type", F.coalesce("json_type", "own_type", "canon_type"))
+    )
+
+
+def lifespans(life: DataFrame) -> DataFrame:
+    """``chain, canon, field, type, first_ord, last_ord, first_file, last_file, n_files, n_lines``
+    and ``next_file`` after the last: the islands of consecutive files of one type."""
+    run = F.col("ord") - F.row_number().over(Window.partitionBy("chain", "field", "type").orderBy("ord"))
+    return (
+        life.withColumn("_island", run)
+        .groupBy("chain", "canon", "field", "type", "_island")
+        .agg(
+            F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.min("file").alias("first_file"), F.max("file").alias("last_file"),
+            F.count(F.lit(1)).alias("n_files"), F.sum("n_lines").alias("n_lines"), F.max_by("next_file", "ord").alias("next_file"),
+        )
+        .drop("_island")
+    )
+
+
+def _events(spans: DataFrame) -> DataFrame:
+    """Starts (``added``) and endings (``removed``) of fields, at the file in which they show."""
+    own = Window.partitionBy("chain", "field").orderBy("first_ord")
+    near = spans.withColumn("_before", F.lag("last_ord").over(own)).withColumn("_after", F.lead("first_ord").over(own))
+    starts = near.filter((F.col("first_ord") > 1) & ~F.coalesce(F.col("_before") == F.col("first_ord") - 1, F.lit(False)))
+    ends = near.filter(F.col("next_file").isNotNull() & ~F.coalesce(F.col("_after") == F.col("last_ord") + 1, F.lit(False)))
+    return starts.select("chain", F.col("first_file").alias("file"), "canon", "field", "type", F.lit("added").alias("kind")).unionByName(
+        ends.select("chain", F.col("next_file").alias("file"), "canon", "field", "type", F.lit("removed").alias("kind"))
     )
 
 
-def changes(lines: DataFrame, **names: str) -> DataFrame:
+def changes(lines: DataFrame, aliases: Aliases = ALIASES, **names: str) -> DataFrame:
     """Every change of a top-level field between neighbouring files of one chain.
 
     Columns: ``chain_id, file_name, field_name, change_kind`` with ``added``, ``removed``,
@@ -155,20 +193,14 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     lines change nothing; a null chain is a chain; files are ordered by name; a field with
     only nulls has no type and keeps the one it last had; an empty table has no changes.
     """
-    life = lifespans(footers(lines, **names))
-    alive_before = F.col("prev_ord") == F.col("ord") - 1
-    starts = life.filter((F.col("ord") > 1) & ~F.coalesce(alive_before, F.lit(False))).select(
-        "chain", "file", "canon", "field", F.lit("added").alias("kind")
-    )
-    ends = life.filter((F.col("ord") < F.col("last_ord")) & ~F.coalesce(F.col("next_ord") == F.col("ord") + 1, F.lit(False))).select(
-        "chain", F.col("next_file").alias("file"), "canon", "field", F.lit("removed").alias("kind")
-    )
+    catalogue = materialise(footers(lines, **names), "drift-footers")
+    life = materialise(lives(catalogue, aliases), "drift-lives")
     met = (
-        starts.unionByName(ends)
+        _events(lifespans(life))
         .groupBy("chain", "file", "canon")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "added", F.col("field")))).alias("a"),
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "removed", F.col("field")))).alias("r"),
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "added", F.col("field")))).alias("a"),
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "removed", F.col("field")))).alias("r"),
         )
     )
     pairs = F.least(F.size("a"), F.size("r"))
@@ -182,11 +214,11 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
             )
         ).alias("c"),
     ).select("chain", "file", "c.field", "c.kind")
-    was = F.when(alive_before, F.coalesce("own_type", "canon_type")).when(F.col("canon_ord") == F.col("ord") - 1, F.col("canon_type"))
-    name = F.when(alive_before, F.col("field")).otherwise(F.col("canon_name"))
-    retyped = life.filter(F.col("json_type").isNotNull() & (was != F.col("json_type"))).select(
-        "chain", "file", name.alias("field"), F.lit("retyped").alias("kind")
-    )
+    # an island that follows another of its field, or of its canonical name, at once
+    follows = F.coalesce(F.col("prev_ord") == F.col("ord") - 1, F.lit(False))
+    was = F.when(follows, F.coalesce("own_type", "canon_type")).when(F.col("canon_ord") == F.col("ord") - 1, F.col("canon_type"))
+    name = F.when(follows, F.col("field")).otherwise(F.col("canon_name"))
+    retyped = life.filter(F.col("json_type").isNotNull() & (was != F.col("json_type"))).select("chain", "file", name.alias("field"), F.lit("retyped").alias("kind"))
     return (
         log.unionByName(retyped)
         .select(F.col("chain").alias("chain_id"), F.col("file").alias("file_name"), F.col("field").alias("field_name"), F.col("kind").alias("change_kind"))
@@ -194,6 +226,28 @@ def changes(lines: DataFrame, **names: str) -> DataFrame:
     )
 
 
+def rename_candidates(lines: DataFrame, aliases: Aliases = ALIASES, **names: str) -> DataFrame:
+    """Starts and endings that meet in one file with one type but under names that no alias joins:
+    ``removed_name, added_name, json_type, n_meetings, n_files_shared``.
+
+    Evidence: in how many files they met, and in how many files both names live (a renaming has
+    none).  Pairs are of fields of one file, whose number is bounded by the fields of a record.
+    """
+    life = materialise(lives(materialise(footers(lines, **names), "drift-footers"), aliases), "drift-lives")
+    ev = _events(lifespans(life))
+    a = ev.filter("kind = 'added'").select("chain", "file", "type", F.col("field").alias("added_name"), F.col("canon").alias("_ca"))
+    r = ev.filter("kind = 'removed'").select("chain", "file", "type", F.col("field").alias("removed_name"), F.col("canon").alias("_cr"))
+    met = a.join(r, ["chain", "file", "type"]).filter(F.col("_ca") != F.col("_cr"))
+    found = met.groupBy("removed_name", "added_name", F.col("type").alias("json_type")).agg(F.count(F.lit(1)).alias("n_meetings"))
+    lived = life.select("chain", "file", "field")
+    both = (
+        found.select("removed_name", "added_name").distinct().join(lived.withColumnRenamed("field", "removed_name"), "removed_name")
+        .join(lived.withColumnRenamed("field", "added_name"), ["chain", "file", "added_name"])
+        .groupBy("removed_name", "added_name").agg(F.count(F.lit(1)).alias("n_files_shared"))
+    )
+    return found.join(both, ["removed_name", "added_name"], "left").fillna(0, ["n_files_shared"])
+
+
 def _cast(variant: Column, target: str) -> Column:
     text = F.coalesce(F.try_variant_get(variant, "$", "string"), F.to_json(variant))
     if target == "json":

@@ -1,6 +1,7 @@
 """Deeply nested records as flat, related tables, by way of an adjacency table.
 
-Every nested value becomes *nodes*: ``node`` (its path inside the record), ``parent`` (the
+Every nested value becomes *nodes*: ``node`` (its path inside the record, keys with ``.``, ``[``,
+``]`` and ``%`` percent-encoded, so that different values have different paths), ``parent`` (the
 path of the value that holds it), ``label`` (field name or map key), ``ordinal`` (position in
 a list), ``kind`` and ``scalar``.  Typed columns are shredded by expressions generated from
 their schema, inside the JVM; JSON text of unknown shape is walked in Arrow batches.  Object
@@ -11,6 +12,7 @@ is a grouping of the node table by parent, so each node is shuffled once.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -31,6 +33,28 @@ NODE = T.StructType(
 
 ROOT = "$"
 
+# Characters of keys that have a meaning in paths.
+_ENCODED = (("%", "%25"), (".", "%2E"), ("[", "%5B"), ("]", "%5D"))
+
+
+def step(key: str) -> str:
+    """A key as a step of a path."""
+    for c, e in _ENCODED:
+        key = key.replace(c, e)
+    return key
+
+
+def _step(key: Column) -> Column:
+    for c, e in _ENCODED:
+        key = F.replace(key, F.lit(c), F.lit(e))
+    return key
+
+
+def below(path: Column, name: str) -> Column:
+    """Is the path that of ``name`` or of something in it?"""
+    at = f"{ROOT}.{name}"
+    return (path == at) | path.startswith(at + ".") | path.startswith(at + "[")
+
 
 def _node(path: Column, parent: Column, label: Column | None, ordinal: Column | None, kind: str, scalar: Column | None) -> Column:
     none = F.lit(None)
@@ -61,7 +85,7 @@ def _nodes(value: Column, kind: T.DataType, path: Column, parent: Column, label:
     elif isinstance(kind, T.MapType):
         inner = F.transform(
             F.map_entries(value),
-            lambda e: _nodes(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")), path, e["key"].cast("string"), None, scalars),
+            lambda e: _nodes(e["value"], kind.valueType, F.concat(path, F.lit("."), _step(e["key"].cast("string"))), path, e["key"].cast("string"), None, scalars),
         )
         every = F.concat(F.array(_node(path, parent, label, ordinal, "object", None)), F.flatten(inner))
     else:
@@ -80,7 +104,8 @@ def node_array(df: DataFrame, columns: Sequence[str], scalars: bool = True) -> C
     for name in columns:
         kind = df.select(name).schema[0].dataType
         label = name.rsplit(".", 1)[-1]
-        parts.append(_nodes(F.col(name), kind, F.lit(f"{ROOT}.{label}"), F.lit(ROOT), F.lit(label), None, scalars))
+        up = ".".join([ROOT, *name.split(".")[:-1]])
+        parts.append(_nodes(F.col(name), kind, F.lit(f"{up}.{label}"), F.lit(up), F.lit(label), None, scalars))
     return F.concat(*parts)
 
 
@@ -93,7 +118,7 @@ def _walk(value: object, path: str, parent: str, label: str | None, ordinal: int
             continue
         if isinstance(v, dict):
             out.append((p, up, lab, pos, "object", None))
-            stack.extend((x, f"{p}.{k}", p, str(k), None) for k, x in reversed(v.items()))
+            stack.extend((x, f"{p}.{step(str(k))}", p, str(k), None) for k, x in reversed(v.items()))
         elif isinstance(v, list):
             out.append((p, up, lab, pos, "list", None))
             stack.extend((x, f"{p}[{i}]", p, None, i) for i, x in reversed(list(enumerate(v))))
@@ -102,13 +127,64 @@ def _walk(value: object, path: str, parent: str, label: str | None, ordinal: int
             out.append((p, up, lab, pos, "scalar", text))
 
 
+def _deep(text: str) -> object:
+    """JSON too deep for the usual parser, read with a stack of its own; ValueError as there."""
+    scan, white = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
+    root: list = []
+    stack: list[tuple[object, str | None]] = [(root, None)]  # open containers and the key waiting in each
+    at, state = white.match(text, 0).end(), "value"
+    while True:
+        box, key = stack[-1]
+        if state == "value":
+            if text[at : at + 1] in ("{", "["):
+                new: object = {} if text[at] == "{" else []
+                box.append(new) if isinstance(box, list) else box.__setitem__(key, new)
+                stack.append((new, None))
+                at = white.match(text, at + 1).end()
+                state = "close" if text[at : at + 1] in ("}", "]") else "key" if isinstance(new, dict) else "value"
+                continue
+            value, at = scan.scan_once(text, at) if at < len(text) else _fail()
+            box.append(value) if isinstance(box, list) else box.__setitem__(key, value)
+            at, state = white.match(text, at).end(), "next"
+        elif state == "key":
+            name, at = scan.scan_once(text, at) if text[at : at + 1] == '"' else _fail()
+            at = white.match(text, at).end()
+            if text[at : at + 1] != ":":
+                _fail()
+            stack[-1] = (box, name)
+            at, state = white.match(text, at + 1).end(), "value"
+        elif state == "close":
+            if text[at : at + 1] != ("}" if isinstance(box, dict) else "]"):
+                _fail()
+            stack.pop()
+            at, state = white.match(text, at + 1).end(), "next"
+        elif len(stack) == 1:
+            return root[0] if at == len(text) else _fail()
+        elif text[at : at + 1] == ",":
+            at = white.match(text, at + 1).end()
+            state = "key" if isinstance(box, dict) else "value"
+        else:
+            state = "close"
+
+
+def _fail() -> tuple:
+    raise ValueError("no JSON")
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
 def json_nodes(text: str | None, label: str = "json") -> list[tuple]:
     """Nodes of a JSON text; text inside a JSON string is read again; [] if unreadable."""
     value: object = text
     try:
         while isinstance(value, str):
-            value = json.loads(value)
-    except (ValueError, RecursionError):
+            value = _loads(value)
+    except (ValueError, StopIteration):
         return []
     out: list[tuple] = []
     _walk(value, f"{ROOT}.{label}", ROOT, label, None, out)
@@ -146,7 +222,7 @@ def entity_table(nodes: DataFrame, key: str, parent: str, fields: Sequence[str])
     objects = nodes.filter((F.col("parent") == at) & (F.col("kind") == "object")).select(
         key, F.col("node").alias("object"), "ordinal", "label", F.lit(None).cast("string").alias("_f"), F.lit(None).cast("string").alias("scalar")
     )
-    children = nodes.filter((F.col("kind") == "scalar") & F.col("parent").startswith(f"{ROOT}.{parent}") & F.col("label").isin(*fields)).select(
+    children = nodes.filter((F.col("kind") == "scalar") & below(F.col("parent"), parent) & F.col("label").isin(*fields)).select(
         key, F.col("parent").alias("object"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("label"), F.col("label").alias("_f"), "scalar"
     )
     return (
@@ -177,7 +253,7 @@ def _groups_and_metrics(nodes: DataFrame, key: str, label: str) -> tuple[DataFra
     # an object's own name: its scalar child "group" or "metric", found by grouping by parent
     w = Window.partitionBy(key, "holder")
     tagged = (
-        nodes.filter(~is_groups & F.col("node").startswith(top))
+        nodes.filter(~is_groups & below(F.col("node"), f"{label}.groups"))
         .withColumn("is_name", (F.col("kind") == "scalar") & F.col("label").isin("group", "metric"))
         .withColumn("holder", F.when(F.col("is_name"), F.col("parent")).otherwise(F.col("node")))
         .withColumn("own_name", F.max(F.when(F.col("is_name"), F.col("scalar"))).over(w))
@@ -249,17 +325,3 @@ def record_table(nodes: DataFrame, key: str, name: str, fields: Sequence[str]) -
         .filter("_objects > 0")
         .drop("_objects")
     )
-
-
-def child_records(nodes: Column, tables: Sequence[str]) -> Column:
-    """From a node array: ``array<struct<child_table, child_key>>`` of the records directly
-    below the containers ``tables``."""
-    parents = [F.lit(f"{ROOT}.{t}") for t in tables]
-    kept = F.filter(nodes, lambda n: n["parent"].isin(*parents))
-    return F.transform(
-        kept,
-        lambda n: F.struct(
-            F.substring(n["parent"], len(ROOT) + 2, 1000).alias("child_table"),
-            F.coalesce(n["label"], n["ordinal"].cast("string")).alias("child_key"),
-        ),
-    )

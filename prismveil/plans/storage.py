@@ -1,11 +1,13 @@
 """Where intermediate tables go.
 
 A cluster names a folder that all executors share in ``spark.checkpoint.dir``.  It is read
-from the session; a private folder is used only where the setting is absent (tests, laptops).
+from the session; a private folder is used only where the setting is absent and the master is
+``local`` (tests, laptops).  On a cluster without it there is an error, not a fallback.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="prismveil-")
     spark.sparkContext.setCheckpointDir(own)
     return own

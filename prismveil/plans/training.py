@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismveil.operators import incremental, schema_drift, shredding
-from prismveil.plans.storage import materialise, table
+from prismveil.plans.storage import materialise, shared_dir, table
 
 LATEST = ("delivery_no", "received_at", "entry_hash")
 NESTED = ("entity_details", "categories", "timing", "bias_context")
@@ -36,6 +38,17 @@ def p3_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return f.filter(F.col("field").isNotNull()).select(F.col("chain").alias("chain_id"), F.col("file").alias("file_name"), F.col("field").alias("field_name"), "json_type", "n_lines")
 
 
+def p3_lifespans(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last file of every field of a chain in one type."""
+    life = schema_drift.lives(materialise(schema_drift.footers(table(spark, sf, "audit_lines")), "drift-footers"))
+    return schema_drift.lifespans(life).select(F.col("chain").alias("chain_id"), "field", "canon", "type", "first_file", "last_file", "n_files", "n_lines")
+
+
+def p3_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes that may be renamings unknown to the alias table, with evidence."""
+    return schema_drift.rename_candidates(table(spark, sf, "audit_lines"))
+
+
 def p3_table(spark: SparkSession, sf: str) -> DataFrame:
     """The one consistent table of all entries in audit_lines."""
     return schema_drift.consistent_table(table(spark, sf, "audit_lines"))
@@ -53,41 +66,44 @@ def _latest(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return incremental.latest_rows(_both(spark, sf, *columns), "event_id", LATEST)
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored adjacency table of the last delivered rows, JSON text included.
+
+    The text of bias_metrics is the scalar ``$.bias_context.bias_metrics``; what it parses to
+    lies below ``$.bias_metrics``.  Each audit table is scanned once.
+    """
+    typed = materialise(shredding.node_table(_latest(spark, sf, *NESTED), "event_id", NESTED), "p4-nodes")
+    return typed.unionByName(materialise(_parsed(typed), "p4-json-nodes"))
+
+
+def _parsed(typed: DataFrame) -> DataFrame:
+    texts = typed.filter(F.col("node") == "$.bias_context.bias_metrics").select("event_id", "scalar")
+    return shredding.json_node_table(texts, "event_id", "scalar", "bias_metrics")
+
+
 def _json_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The adjacency table of the parsed bias_metrics, below ``$.bias_metrics``."""
-    parts = [
-        table(spark, sf, t).select("event_id", *LATEST, F.col("bias_context.bias_metrics").alias("bias_metrics"))
-        for t in ("audit_chain_py", "audit_chain_bias_py")
-    ]
-    last = incremental.latest_rows(parts[0].unionByName(parts[1]), "event_id", LATEST)
-    return shredding.json_node_table(last, "event_id", "bias_metrics", "bias_metrics")
+    return _parsed(shredding.node_table(_latest(spark, sf, "bias_context"), "event_id", ("bias_context",)))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Child records of the last delivered row of each entry, with their way back."""
-    both = [table(spark, sf, t) for t in ("audit_chain_py", "audit_chain_bias_py")]
-    names = [c.rsplit(".", 1)[-1] for c in TYPED]
-    rows = [
-        df.select("event_id", *LATEST, shredding.child_records(shredding.node_array(df, TYPED, scalars=False), names).alias("children"))
-        for df in both
-    ]
-    typed = (
-        incremental.latest_rows(rows[0].unionByName(rows[1]), "event_id", LATEST)
-        .select("event_id", F.explode("children").alias("c"))
-        .select("event_id", "c.*")
-    )
-    nodes = materialise(_json_nodes(spark, sf), "p4-json-nodes")
-    return typed.unionByName(shredding.grouped_metrics(nodes, "event_id", "bias_metrics")).distinct()
+    nodes = _nodes(spark, sf)
+    details = shredding.entity_table(nodes, "event_id", "entity_details", tuple(ENTITY_FIELDS))
+    parts = [details.select("event_id", F.lit("entity_details").alias("child_table"), F.col("ordinal").cast("string").alias("child_key"))]
+    for column in TYPED[1:]:
+        rows = shredding.value_table(nodes, "event_id", column)
+        parts.append(rows.select("event_id", F.lit(column.rsplit(".", 1)[-1]).alias("child_table"), F.coalesce("label", F.col("ordinal").cast("string")).alias("child_key")))
+    parts.append(shredding.grouped_metrics(nodes.filter(shredding.below(F.col("node"), "bias_metrics")), "event_id", "bias_metrics"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def p4_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The adjacency table of the nested columns of the last delivered rows, JSON text included.
-
-    The text of bias_metrics is the scalar ``$.bias_context.bias_metrics``; what it parses to
-    lies below ``$.bias_metrics``.
-    """
-    last = _latest(spark, sf, "entity_details", "categories", "timing", "bias_context")
-    return shredding.node_table(last, "event_id", NESTED).unionByName(_json_nodes(spark, sf))
+    """The adjacency table of the nested columns of the last delivered rows, JSON text included."""
+    return _nodes(spark, sf)
 
 
 def p4_entity_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +137,7 @@ def p4_entity_details_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def _values(spark: SparkSession, sf: str, column: str) -> DataFrame:
     nodes = shredding.node_table(_latest(spark, sf, column.split(".")[0]), "event_id", (column,))
-    return shredding.value_table(nodes, "event_id", column.rsplit(".", 1)[-1])
+    return shredding.value_table(nodes, "event_id", column)
 
 
 def p4_timing(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,22 +192,31 @@ def p4_bias_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # ---- 5: increments ---------------------------------------------------------------------
 
 
+def _processed(spark: SparkSession, sf: str) -> tuple[DataFrame, str, str]:
+    """The slim rows of audit_chain_py, and what its succeeded runs left behind: the forms they
+    processed and the fingerprints recorded with them."""
+    rows = table(spark, sf, "audit_chain_py").select("event_id", "entry_hash", "delivery_no", "received_at")
+    done = table(spark, sf, "ingest_runs").filter("status = 'succeeded'").select("delivery_no").distinct()
+    base = f"{shared_dir(spark)}/p5-{uuid.uuid4().hex}"
+    target, state = f"{base}/forms", f"{base}/fingerprints"
+    incremental.process_increment(rows.join(done, "delivery_no", "left_semi"), target, state, ["delivery_no"], ["event_id", "entry_hash"], lambda df: df.distinct())
+    return rows, target, state
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Entries whose current form no succeeded delivery holds."""
-    return incremental.pending_entries(table(spark, sf, "audit_chain_py"), table(spark, sf, "ingest_runs"))
+    return incremental.pending_entries(*_processed(spark, sf))
 
 
 def p5_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries with rows that no succeeded run has processed, with their row counts."""
-    rows = table(spark, sf, "audit_chain_py")
-    done = table(spark, sf, "ingest_runs").filter("status = 'succeeded'").select("delivery_no").distinct()
+    """Deliveries whose fingerprint is not recorded, with their row counts."""
+    rows, _, state = _processed(spark, sf)
     now = incremental.fingerprints(rows, ["delivery_no"], ["event_id", "entry_hash"])
-    recorded = now.join(done, "delivery_no", "left_semi")
-    todo = incremental.changed_partitions(now, recorded, ["delivery_no"])
-    return now.join(todo, "delivery_no", "left_semi").select("delivery_no", "n_rows")
+    recorded, _ = incremental.latest_records(spark, state, ["delivery_no"], now)
+    return now.join(incremental.changed_partitions(now, recorded, ["delivery_no"]), "delivery_no", "left_semi").select("delivery_no", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_catalogue, p3_table, p4_found, p4_nodes, p4_entity_details, p4_entity_details_all, p4_timing, p4_categories, p4_categories_used, p4_categories_allowed, p4_bias_context, p4_bias_totals, p4_bias_groups, p4_bias_metrics, p5_found, p5_partitions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_catalogue, p3_lifespans, p3_candidates, p3_table, p4_found, p4_nodes, p4_entity_details, p4_entity_details_all, p4_timing, p4_categories, p4_categories_used, p4_categories_allowed, p4_bias_context, p4_bias_totals, p4_bias_groups, p4_bias_metrics, p5_found, p5_partitions)}
 
 _LAST = """(SELECT * FROM (SELECT {cols}, row_number() OVER (PARTITION BY event_id
     ORDER BY delivery_no DESC, received_at DESC, entry_hash DESC) AS rn FROM (

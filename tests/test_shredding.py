@@ -35,3 +35,29 @@ def test_p4_bias_tables_agree_with_p4_found(spark):
     rows = entry.queries()["p4_bias_metrics"](spark, SF).collect()
     assert found == groups | {(r.event_id, "bias_metrics", f"{r.group_name}/{r.metric}") for r in rows}
     assert all(r.value is not None for r in rows)
+
+
+def test_keys_with_dots_and_brackets_do_not_collide(spark):
+    text = {"groups": {"a": {"metrics": {"x": 1}}, "a.metrics": {"y": 2}, "a[0]": {}, "b%2E": {"metrics": {"z.ci": 3}}}, "groupsX": {"q": {}}}
+    n = nodes(spark, json.dumps(text))
+    rows = {(r.child_table, r.child_key) for r in shredding.grouped_metrics(n, "e", "j").collect()}
+    assert rows == {("bias_groups", g) for g in ("a", "a.metrics", "a[0]", "b%2E")} | {("bias_metrics", "a/x"), ("bias_metrics", "b%2E/z.ci")}
+    df = spark.createDataFrame([("1", {"p.q": 1, "p": 2})], "e string, m map<string,int>")
+    got = {r.label: r.scalar for r in shredding.value_table(shredding.node_table(df, "e", ("m",)), "e", "m").collect()}
+    assert got == {"p.q": "1", "p": "2"}
+    assert len({r.node for r in shredding.node_table(df, "e", ("m",)).collect()}) == 3
+
+
+def test_very_deep_json_keeps_its_nodes():
+    depth = 100_000
+    got = shredding.json_nodes("[" * depth + '{"a": [1, "x"], "b": null}' + "]" * depth)
+    assert len(got) == depth + 4
+    assert shredding.json_nodes("[" * depth + "1" + "]" * (depth - 1)) == []
+    assert shredding.json_nodes("[" * depth + '{"a" 1}' + "]" * depth) == []
+
+
+def test_entities_with_null_elements_and_an_empty_table(spark):
+    df = spark.createDataFrame([("1", [(1, None), None, (None, None)], "x")], "e string, d array<struct<a:int,b:string>>, label string")
+    n = shredding.node_table(df, "e", ("d",))
+    assert sorted((r.ordinal, r.a, r.b) for r in shredding.entity_table(n, "e", "d", ("a", "b")).collect()) == [(0, "1", None), (2, None, None)]
+    assert shredding.node_table(df.limit(0), "e", ("d",)).collect() == []
