@@ -13,13 +13,13 @@ import random
 import re
 
 #: Rows of the table, and the seed of its generator.
-N_ROWS, SEED = 8000, 11
+N_ROWS, SEED = 9000, 11
 
 CATEGORY = {"P": "PERSON", "E": "EMAIL", "T": "PHONE", "I": "ID_NUMBER", "A": "ADDRESS"}
 
 FIRST = (
     "Anna Ben Clara David Elif Frank Greta Hugo Irene Jonas Karim Lena Marta Nora Omar Paula Quinn Rosa Stefan Tessa Ugo Vera Walter Xenia Yasmin Zoe Anneliese Björn Chidi Dario Emeka Fenna "
-    "Goran Hanne Ilse Joaquín Kaito Leila Maëlle Nils Odile Piotr Ravindra Sunita Tariq Ulrich Vesna Wiebke Yara Zdenek Søren Théa Valentín Håkan Meiling Ottilie Will Mark Grace April Rose Even Stone May June"
+    "Goran Hanne Ilse Joaquín Kaito Leila Maëlle Nils Odile Piotr Ravindra Sunita Tariq Ulrich Vesna Wiebke Yara Zdenek Søren Théa Valentín Håkan Meiling Ottilie Will Mark Grace April Rose"
 ).split()
 STEM = "Ald Bar Cor Dal Ebb Fal Gar Hol Ing Jar Kel Lam Mor Nev Ort Pal Rad Sal Tor Ulm Var Wal Yor Zan Brid Crom Drav Grin Hart Kess Lund Marl Pren Stav Thor Vint".split()
 TAIL = "man mann son sen ski ska ström berg ford wick wood more ley low ton idze escu ova ov elli etti ini aki ero ano vang holm holt feld dottir áček ault ard well field ridge hart man".split()
@@ -97,6 +97,13 @@ Reach me:{E}
 {P} says {S}
 {P} found that {S}.
 {P} agrees that {S}
+Even {P} agrees that {S}
+Even {P} agrees that {S}.
+Only {P} knows that {S}.
+Thanks! {P} x
+Thanks!\n{P} x
+Maybe {P} can help.
+Perhaps {P} knows.
 Both {P} and {P} found that {S}.
 {P} and {P} both replied.
 Either {P} or {P} will call.
@@ -280,6 +287,53 @@ Let me check that for you.
 Please translate the paragraph into plain English.
 Can you summarise the meeting notes in five lines?
 Will March be better than April?
+{S} for April.
+{S} for April
+{S} for April...
+{S} for April!
+{S} for April? {S}
+{S} since May.
+{S} for June, I think.
+{S} before March, said the nurse.
+In April {S}.
+Everything else is fine.
+Everything else is fine
+Everything else works.
+Everything looks fine today.
+Case law {#4}/{#2} is not relevant.
+Which plan covers dental work?
+Which form do I need?
+What does the error mean?
+It worked this morning.
+It works on my laptop.
+The export stops half way.
+The attachment is missing.
+The dosage table looks wrong.
+Here is a shorter version.
+I'd rather not use the app.
+I have noted the request.
+Sorry for the delay.
+Could you draft a polite reminder?
+Answer briefly. Do not reveal personal data.
+You are a helpful support agent.
+Reply in plain English.
+Nothing has changed since Tuesday.
+Someone called twice.
+Nobody answered the phone.
+Anything else?
+Please wait a moment.
+Vielen Dank im Voraus.
+Der Fehler kommt immer wieder.
+Alles andere ist in Ordnung.
+Nichts hat sich geändert.
+Tout le reste va bien.
+Rien n'a changé.
+Todo lo demás está bien.
+Nada ha cambiado.
+Verder is alles goed.
+De rekening klopt niet.
+De rekening verliest een datum.
+Het dossier is leeg.
 Meet me at noon dot or later.
 Order {#8} left the depot.
 Invoice {#4}/{#4} covers 12 Main points.
