@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,18 +145,41 @@ def merge_digests(digests: DataFrame, by: Sequence[str]) -> DataFrame:
     """One digest per group of ``by`` from any number of digests.
 
     A hot group may come with a digest of every task, so groups are merged in ``SALTS`` parts
-    first and the parts, at most ``SALTS`` small rows a group, second.
+    first and the parts, at most ``SALTS`` small rows a group, second.  Tasks read their groups
+    in order and hold one at a time.
     """
     schema = T.StructType([*_keys(digests, by), *DIGEST.fields])
+    k = len(by)
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        p = _Partial()
-        p.add_digests(frame)
-        key = tuple(None if pd.isna(k) else k for k in key[: len(by)])
-        return pd.DataFrame([(*key, *p.row())], columns=schema.names, dtype=object)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, p, done = None, _Partial(), []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(k + len(DIGEST))]
+            for key, n, skipped, lo, hi, means, weights in zip(zip(*columns[:k]), *columns[k:]):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, *p.row()))
+                    current, p = key, _Partial()
+                p.skipped += skipped
+                if n:
+                    p.n += n
+                    p.lo, p.hi = min(p.lo, lo), max(p.hi, hi)
+                    p.add(np.array(means), np.array(weights))
+            if done:
+                yield _batch(done, batch.schema)
+                done = []
+        if current is not None:
+            yield _batch([(*current, *p.row())], batch.schema)
+
+    def level(df: DataFrame, *salt: str) -> DataFrame:
+        return df.repartition(*by, *salt).select(*by, *DIGEST.names).sortWithinPartitions(*by).mapInArrow(fold, schema)
 
     salted = digests.withColumn("_salt", F.pmod(F.xxhash64("n_values", "lo", "hi", "means"), F.lit(SALTS)))
-    return salted.groupBy(*by, "_salt").applyInPandas(one, schema).groupBy(*by).applyInPandas(one, schema)
+    return level(level(salted, "_salt"))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=schema.names)
 
 
 def percentiles(digests: DataFrame, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
