@@ -1,6 +1,7 @@
 """The labelled lines from which the verdict on line templates is learned.
 
-Written by hand for this project, bounded by what is listed here.  ``<num>``, ``<id>`` and
+Written by hand for this project, bounded by what is listed here, and after reading the lines
+of the test documents, so agreement with those documents is no held-out figure.  ``<num>``, ``<id>`` and
 ``<slot>`` are the masks that the template miner puts in place of numbers, of hexadecimal
 names and of placeholders in template syntax.
 """
@@ -189,6 +190,9 @@ To continue, turn off the script blocker (F<num>).
 To continue, turn off the script blocker and press reload.
 To read this document, switch on JavaScript (F<num>).
 {"status": <num>, "error": "Not Found", "trace": "<id>"}
+{"error":{"code":<num>,"message":"upstream timed out","id":"<id>"}}
+{"error":{"code":<num>,"message":"not found"}}
+{"code": <num>, "message": "unauthorized"}
 <h1>Internal Server Error</h1><p>The gateway gave no answer for /doc/<id>.</p>
 <h1>Not Found</h1><p>The requested URL was not found on this server.</p>
 <title>Error</title>
@@ -429,6 +433,10 @@ Wie in Fig. <num> gezeigt, umgibt das Düsenrohr das Heizmodul.
 Dosierpumpe nach Anspruch <num>, ferner aufweisend ein Rotorblatt.
 Der Platzhalter <slot> wird vor dem Druck ersetzt.
 Das Feld «Name einfügen» wird vom Scanner erkannt.
+Ein Blindtext dient zum Prüfen der Anzeige.
+Ein Mustertext wird zum Prüfen gedruckt.
+Un faux-texte sert à contrôler l'affichage.
+Un texto de relleno sirve para probar la pantalla.
 Bei der Meldung »Seite nicht gefunden« wiederholt das Steuergerät den Abruf.
 Ist der Dienst nicht verfügbar, leuchtet die Lampe.
 Das Steuergerät lädt ein Skript, sofern JavaScript erlaubt ist.

