@@ -271,10 +271,12 @@ def consistent_table(lines: DataFrame, aliases: dict[str, tuple[str, tuple[str,
 
     Casts are generated from the alias table: a column is the first non-null spelling, cast
     to its one type; what cannot be cast is null.  Fields in no alias entry stay together,
-    under their own names and as JSON text, in ``unknown_fields``.  Key columns of ``lines`` are kept (they win over
-    fields of the same name, which then are prefixed with ``entry_``).
+    under their own names and as JSON text, in ``unknown_fields``.  Columns of ``lines`` are kept
+    (they win over fields of the same name, which then are prefixed with ``entry_``; names that
+    start with ``_`` are left out).  Lines that are null or no JSON object have no row.
     """
     known = spellings(aliases)
+    lines = lines.select(*[c for c in lines.columns if not c.startswith("_")])
     rows = parsed(lines, raw).filter(F.col("_fields").isNotNull())
     # two spellings that fold to one name on a line: the first that is not null decides
     rows = rows.withColumn("_set", F.expr("filter(map_entries(_fields), e -> NOT is_variant_null(e.value))"))
@@ -287,5 +289,5 @@ def consistent_table(lines: DataFrame, aliases: dict[str, tuple[str, tuple[str,
         value = F.coalesce(*[_cast(F.try_element_at("_by", F.lit(n)), target) for n in names])
         out.append(value.alias(f"entry_{canon}" if canon in lines.columns else canon))
     rest = F.map_filter("_fields", lambda k, _: ~F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(*known))
-    out.append(F.when(F.size(rest) > 0, F.to_json(rest)).alias("unknown_fields"))
+    out.append(F.when(F.size(rest) > 0, F.to_json(rest)).alias("entry_unknown_fields" if "unknown_fields" in lines.columns else "unknown_fields"))
     return rows.select(*out)

@@ -68,3 +68,9 @@ def test_lifespans_are_islands_of_one_type(spark):
 def test_an_empty_table(spark):
     df = lines(spark).limit(0)
     assert schema_drift.changes(df).collect() == [] and schema_drift.consistent_table(df).collect() == []
+
+
+def test_columns_of_the_table_win_over_fields_of_their_name(spark):
+    df = spark.createDataFrame([("c", "f", 0, '{"model": "m", "x": 1}', "own", 7, 8)], "chain_id string, file_name string, line_no bigint, raw string, model string, unknown_fields int, _fields int")
+    r = schema_drift.consistent_table(df).first()
+    assert (r.model, r.entry_model, r.unknown_fields, json.loads(r.entry_unknown_fields)) == ("own", "m", 7, {"x": 1})
