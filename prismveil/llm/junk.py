@@ -329,7 +329,11 @@ def template_verdicts(merged: DataFrame) -> DataFrame:
 
 
 def junk_documents(stored: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``_key, reason`` of the cases from stored results of ``mined`` and ``template_verdicts``."""
+    """``_key, reason`` of the cases from stored results of ``mined`` and ``template_verdicts``.
+
+    Defined results: null, empty and blank texts are no cases; repeated keys are one case; a
+    null key is a key; a text of any length is cut whole; an empty table has none.
+    """
     marked = verdicts.filter(F.col("verdict") != CONTENT).select(F.col("_local").alias("_text"), "verdict")
     numbers = stored.filter(F.col("_t").isNotNull()).select("_t", "_text").join(marked, "_text").select(F.col("_t").alias("t"), "verdict")
     docs = stored.filter(F.col("_t").isNull())
